@@ -4,7 +4,8 @@ Every document of a source gets the same fractional number of copies, target / s
 taken; the fraction is a probability. Two documents at a time, mass (probability times size) moves from one to the
 other at random, so that the sum of the mass and each expectation stay, until one probability is 0 or 1. What a
 bucket of documents can't settle, one residual document, meets the residuals of other buckets in a reduction tree;
-one document a source is rounded last. So a source's taken words miss the target by less than one document.
+one document a source is rounded last. Long documents go first, so that a short one is left: a source's taken words
+miss the target by less than one document, and most often by a short one.
 
 Randomness comes from hashes of ids, and buckets from hashes and counts: reruns agree on any layout of the input.
 
@@ -53,7 +54,7 @@ def targets(units: DataFrame) -> DataFrame:
 
 def settle(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
     """Pivotal rounding in the order of rank; p ends at 0 or 1 but for one row, which `last` rounds too."""
-    pdf = pdf.sort_values(["rank", "key", "mark"], kind="stable", na_position="last")
+    pdf = pdf.sort_values(["rank", "mark", "key"], kind="stable", na_position="last")
     p, mass, coin = pdf["p"].tolist(), pdf["unit"].astype(float).tolist(), ((pdf["mark"].to_numpy("int64").view("uint64") >> 11) / 2.0**53).tolist()
     open_, turn = -1, 0
     for j in range(len(p)):
@@ -96,7 +97,7 @@ def copies(units: DataFrame, sources: DataFrame) -> DataFrame:
     own = same["src"].eqNullSafe(sources["src"])
     rows = same.join(F.broadcast(sources) if few else sources, own).drop(sources["src"])
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0)
-    rows = rows.select("key", "src", "mark", "size", "source_size", "target", "rows", (F.col("size") * F.col("rows")).alias("unit"), F.floor(ratio).cast("long").alias("whole"), (ratio - F.floor(ratio)).alias("p"), F.xxhash64("mark", F.lit(7)).alias("rank"), F.pmod(F.xxhash64("mark"), F.ceil(F.col("n") / BUCKET)).alias("bucket"))
+    rows = rows.select("key", "src", "mark", "size", "source_size", "target", "rows", (F.col("size") * F.col("rows")).alias("unit"), F.floor(ratio).cast("long").alias("whole"), (ratio - F.floor(ratio)).alias("p"), (-F.col("size") * F.col("rows")).alias("rank"), F.pmod(F.xxhash64("mark"), F.ceil(F.col("n") / BUCKET)).alias("bucket"))
     kinds = rows.schema
     levels, spread = 0, math.ceil(most / BUCKET)
     while spread > 1:
