@@ -52,10 +52,25 @@ def targets(units: DataFrame) -> DataFrame:
     return rows.select("src", "source_size", F.when(F.col("free") == 1, F.col("at") * F.col("weight")).otherwise(F.col("cap")).alias("target"), "n")
 
 
-def settle(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
-    """Pivotal rounding in the order of rank; p ends at 0 or 1 but for one row, which `last` rounds too."""
+def settle(pdf: pd.DataFrame, first: bool, last: bool) -> pd.DataFrame:
+    """Pivotal rounding, long documents first; p ends at 0 or 1 but for one row, which `last` rounds too.
+
+    A document whose mass all shorter ones together can't absorb pair by pair (its square exceeds the sum of theirs)
+    is paired with all of them at once, as long as they share one probability (`first`): they move together.
+    """
     pdf = pdf.sort_values(["rank", "mark", "key"], kind="stable", na_position="last")
     p, mass, coin = pdf["p"].tolist(), pdf["unit"].astype(float).tolist(), ((pdf["mark"].to_numpy("int64").view("uint64") >> 11) / 2.0**53).tolist()
+    if first:
+        rest, squares = sum(mass), sum(x * x for x in mass)
+        for i, m in enumerate(mass):
+            rest, squares = rest - m, squares - m * m
+            if m * m < squares or rest <= 0:
+                break
+            less, more = p[i] - (1 - p[i]) * m / rest, p[i] + p[i] * m / rest
+            if 0 < p[i] < 1 and 0 <= less and more <= 1:
+                taken = coin[i] < p[i]
+                p[i + 1 :] = [less if taken else more] * (len(p) - i - 1)
+                p[i] = float(taken)
     open_, turn = -1, 0
     for j in range(len(p)):
         if not 0 < p[j] < 1:
@@ -70,11 +85,11 @@ def settle(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
         up, down = min((1 - p[i]) * mass[i], p[j] * mass[j]), min(p[i] * mass[i], (1 - p[j]) * mass[j])
         u = (coin[i] + coin[j] * 0.6180339887498949 + turn * 0.7548776662466927) % 1.0
         if u * (up + down) < down:  # i gains with the chance that keeps both expectations
-            first, p_i, p_j = (1 - p[i]) * mass[i] <= p[j] * mass[j], p[i] + up / mass[i], p[j] - up / mass[j]
-            p[i], p[j] = (1.0, p_j) if first else (p_i, 0.0)
+            full, p_i, p_j = (1 - p[i]) * mass[i] <= p[j] * mass[j], p[i] + up / mass[i], p[j] - up / mass[j]
+            p[i], p[j] = (1.0, p_j) if full else (p_i, 0.0)
         else:
-            first, p_i, p_j = p[i] * mass[i] <= (1 - p[j]) * mass[j], p[i] - down / mass[i], p[j] + down / mass[j]
-            p[i], p[j] = (0.0, p_j) if first else (p_i, 1.0)
+            empty, p_i, p_j = p[i] * mass[i] <= (1 - p[j]) * mass[j], p[i] - down / mass[i], p[j] + down / mass[j]
+            p[i], p[j] = (0.0, p_j) if empty else (p_i, 1.0)
         p[i], p[j] = (min(max(x, 0.0), 1.0) if 1e-12 < x < 1 - 1e-12 else float(round(x)) for x in (p[i], p[j]))
         open_ = i if 0 < p[i] < 1 else j if 0 < p[j] < 1 else -1
     if last and open_ >= 0:
@@ -82,9 +97,9 @@ def settle(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
     return pdf.assign(p=p)
 
 
-def settler(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def settler(first: bool, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return settle(pdf, last)
+        return settle(pdf, first, last)
 
     return run
 
@@ -105,7 +120,7 @@ def copies(units: DataFrame, sources: DataFrame) -> DataFrame:
     done = None
     for level in range(levels + 1):
         last = level == levels
-        rows = staged(rows.groupBy("src", "bucket").applyInPandas(settler(last), kinds), f"mix-{level}")
+        rows = staged(rows.groupBy("src", "bucket").applyInPandas(settler(level == 0, last), kinds), f"mix-{level}")
         closed = rows.where("p = 0 or p = 1") if not last else rows
         done = closed if done is None else done.unionByName(closed)
         rows = rows.where("p > 0 and p < 1").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("long"))
