@@ -79,6 +79,15 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.asarray(taken, dtype=np.int64)
 
 
+def cells(keys: list[np.ndarray], rank: np.ndarray) -> Iterator[np.ndarray]:
+    """Row numbers of each set of rows with equal keys, by rank in it."""
+    order = np.lexsort((rank, *keys))
+    new = np.zeros(len(order), dtype=bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    yield from np.split(order, np.flatnonzero(new))
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(v, component) of every vertex of the edges (a, b): the smallest vertex that it reaches.
 

@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import components, forest, mix64, pieces, staged, table
+from kelpline.llm.common import cells, components, forest, mix64, pieces, staged, table
 
 COSINE, RECALL, WIDTH, BLOCK, SEED = 0.93, 0.995, 2.0, 1024, 17
+#: Rows that a task's group gets, about: many small buckets, or a pair of blocks.
+GROUP = 4096
 
 
 def chance(distance: float, width: float = WIDTH) -> float:
@@ -102,36 +104,47 @@ def linked_pairs(classes: DataFrame, tables: int, cosine: float, name: str) -> D
     """(a, b, n): with b null, the class a links with n vectors of other classes found by a task; else a and b link."""
     places = classes.select("class", "label", "dim", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.substring("buckets", t * 8 + 1, F.lit(8)))).alias("t", "bucket"))
     sizes = places.groupBy("label", "dim", "t", "bucket").agg(F.count("*").alias("size")).where("size > 1")
-    places = places.join(sizes, ["label", "dim", "t", "bucket"])
+    cell = F.xxhash64("label", "dim", "t", "bucket")
+    places = staged(places.join(sizes, ["label", "dim", "t", "bucket"]).select(cell.alias("cell"), "t", "size", "class"), f"{name}-places")
+    groups = max(1, places.count() // GROUP)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = places.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class", "t"), blocks).cast("int"))
     partners = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    rows = rows.withColumn("p", F.explode(partners)).select("label", "dim", "t", "bucket", "p.i", "p.j", "own", "class")
+    rows = rows.withColumn("p", F.explode(partners)).select(F.pmod(F.xxhash64("cell", "p"), F.lit(groups)).alias("group"), "cell", "t", "p.i", "p.j", "own", "class")
     rows = rows.join(classes.select("class", "unit", "copies", "buckets"), "class")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, i, j = (int(pdf[c].iloc[0]) for c in ("t", "i", "j"))
-        pdf = pdf.sort_values("class", kind="stable")
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        wide = lambda x, c, kind: np.frombuffer(b"".join(x[c]), kind).reshape(len(x), -1)
-        u, v = wide(left, "unit", np.float64), wide(right, "unit", np.float64)
-        hit = u @ v.T >= cosine
-        if i == j:
-            hit = np.triu(hit, 1)
-        x, y = np.nonzero(hit)
-        if t and len(x):  # an earlier table counts those that share its bucket
-            before = np.zeros(len(x), dtype=bool)
-            p, q = wide(left, "buckets", np.uint64), wide(right, "buckets", np.uint64)
-            for e in range(t):
-                before |= p[x, e] == q[y, e]
-            x, y = x[~before], y[~before]
-        a, b, n_a, n_b = left["class"].to_numpy(), right["class"].to_numpy(), left["copies"].to_numpy(), right["copies"].to_numpy()
-        to_a, to_b = np.bincount(x, weights=n_b[y], minlength=len(a)).astype(np.int64), np.bincount(y, weights=n_a[x], minlength=len(b)).astype(np.int64)
-        keep = forest(len(a) + len(b), x, y if i == j else y + len(a))
-        ka, kb = np.flatnonzero(to_a), np.flatnonzero(to_b)
-        return pd.DataFrame({"a": np.concatenate([a[ka], b[kb], a[x[keep]]]), "b": pd.array([None] * (len(ka) + len(kb)) + b[y[keep]].tolist(), "Int64"), "n": np.concatenate([to_a[ka], to_b[kb], np.zeros(len(keep), np.int64)])})
-
-    return staged(rows.groupBy("label", "dim", "t", "bucket", "i", "j").applyInPandas(run, "a long, b long, n long"), f"{name}-pairs")
+        cell, ti, i_, j_, own, class_, copies = (pdf[c].to_numpy() for c in ("cell", "t", "i", "j", "own", "class", "copies"))
+        units, hashes, out = pdf["unit"].to_numpy(), pdf["buckets"].to_numpy(), []
+        wide = lambda x, kind: np.frombuffer(b"".join(x), kind).reshape(len(x), -1)
+        for at in cells([j_, i_, cell], class_):
+            t, i, j = (int(c[at[0]]) for c in (ti, i_, j_))
+            left, right = at[own[at] == i], at[own[at] == j]
+            if not len(left) or not len(right):
+                continue
+            hit = wide(units[left], np.float64) @ wide(units[right], np.float64).T >= cosine
+            if i == j:
+                hit = np.triu(hit, 1)
+            x, y = np.nonzero(hit)
+            if not len(x):
+                continue
+            if t:  # an earlier table counts those that share its bucket
+                p, q = wide(hashes[left], np.uint64), wide(hashes[right], np.uint64)
+                new = np.ones(len(x), dtype=bool)
+                for e in range(t):
+                    new &= p[x, e] != q[y, e]
+                x, y = x[new], y[new]
+            a, b = class_[left], class_[right]
+            to_a, to_b = np.bincount(x, weights=copies[right][y], minlength=len(a)).astype(np.int64), np.bincount(y, weights=copies[left][x], minlength=len(b)).astype(np.int64)
+            keep = forest(len(a) + len(b), x, y if i == j else y + len(a))
+            for v, n in ((a, to_a), (b, to_b)):
+                some = np.flatnonzero(n)
+                out.append(np.stack([v[some], np.full(len(some), -1), n[some]]))
+            out.append(np.stack([a[x[keep]], b[y[keep]], np.zeros(len(keep), np.int64)]))
+        a, b, n = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+        return pd.DataFrame({"a": a, "b": pd.Series(b, dtype="Int64").mask(pd.Series(n) > 0), "n": n})
+
+    return staged(rows.groupBy("group").applyInPandas(run, "a long, b long, n long"), f"{name}-pairs")
 
 
 def linked(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:

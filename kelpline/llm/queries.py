@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kelpline.llm import op1_quality, op2_pii, op3_html, op5_mixing, op6_binary, op7_embeddings, op8_licenses, op9_neardup, op10_packing
+from kelpline.llm import op1_quality, op2_pii, op3_html, op4_lm, op5_mixing, op6_binary, op7_embeddings, op8_licenses, op9_neardup, op10_packing
 
 QUERIES = {
     "op1_quality_rules": op1_quality.op1_quality_rules,
     "op2_pii": op2_pii.op2_pii,
     "op3_html": op3_html.op3_html,
+    "op4_lm_scores": op4_lm.op4_lm_scores,
     "op5_mixing": op5_mixing.op5_mixing,
     "op6_binary": op6_binary.op6_binary,
     "op7_embedding_dedup": op7_embeddings.op7_embedding_dedup,
