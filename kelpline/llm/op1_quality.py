@@ -1,8 +1,8 @@
 """Quality rules as weak supervision: rules vote or abstain, EM estimates accuracies, a posterior decides.
 
-Each document gets eight votes: 1 (good), -1 (bad) or 0 (abstains). A two-class model in which votes are independent
+Each document gets nine votes: 1 (good), -1 (bad) or 0 (abstains). A two-class model in which votes are independent
 given the class is fitted by expectation-maximisation over the counts of vote patterns of *all* documents. There are
-at most 3 ** 8 patterns, so what reaches the driver has that bound at any size of input.
+at most 3 ** 9 patterns, so what reaches the driver has that bound at any size of input.
 
 Defined results: a null or empty text has no word, fails the base rule and isn't kept; repeated rows get the same
 verdict each; an empty table gives an empty result; other columns are left alone whatever their names.
@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from kelpline.llm.common import column, pieces, staged, table, text_bytes
 
-MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+MIN_WORDS, MAX_REPEAT_PERCENT, RARE = 50, 50, 0.01
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
-RULES = ("symbols", "capitals", "word_length", "dup_lines", "repeats", "distinct", "letters", "line_ends")
+#: Bytes that are neither white space nor, in UTF-8, part of a letter or another character above ASCII.
+NOT_LETTERS = bytes(b for b in range(128) if bytes([b]) not in (bytes([x]) for x in SPACES) and not chr(b).isalpha())
+RULES = ("symbols", "capitals", "word_length", "dup_lines", "repeats", "distinct", "letters", "line_ends", "worded")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_upper", "n_letters", "n_distinct", "n_lines", "n_ended")
+MORE = ("n_upper", "n_letters", "n_distinct", "n_lines", "n_ended", "n_worded")
 
 
 def repeat_words(ids: np.ndarray, distinct: int) -> int:
@@ -59,7 +61,7 @@ def measure(text: bytes) -> tuple[int, ...]:
     upper = int(bytes_[65:91].sum())
     return (
         len(words), len(text) - int(bytes_[128:192].sum()) - spaces, int(bytes_[list(SYMBOLS)].sum()), len(lines) - len(set(lines)), repeat_words(ids, len(seen)),
-        upper, upper + int(bytes_[97:123].sum()) + int(bytes_[192:].sum()), len(seen), len(lines), sum(x.rstrip(SPACES)[-1:] in b".!?" for x in lines),
+        upper, upper + int(bytes_[97:123].sum()) + int(bytes_[192:].sum()), len(seen), len(lines), sum(x.rstrip(SPACES)[-1:] in b".!?" for x in lines), len(text.translate(None, NOT_LETTERS).split()),
     )
 
 
@@ -74,11 +76,12 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
         vote(per_word(m["n_symbols"]) <= 0.02, per_word(m["n_symbols"]) > 0.1),
         vote(upper < 0.1, upper > 0.3),
         vote((length > 3) & (length < 6.5), (length < 2.5) | (length > 7.2)),
-        vote((dup == 0) & (m["n_lines"] > 2), dup > 0.3),
+        vote((dup == 0) & (m["n_lines"] > 2), dup > 0.4),
         vote(long & (per_word(m["n_repeat_words"]) < 0.1), per_word(m["n_repeat_words"]) > 0.3),
         vote(long & (per_word(m["n_distinct"]) > 0.4), long & (per_word(m["n_distinct"]) < 0.2)),
         vote(letters > 0.85, letters < 0.7),
-        vote(ended > 0.7, ended < 0.3),
+        vote(ended > 0.7, (ended < 0.3) & (m["n_lines"] > 2)),
+        vote(per_word(m["n_worded"]) > 0.9, per_word(m["n_worded"]) < 0.75),
     )
     pattern = np.zeros(len(length), dtype=np.int64)
     for digit in cast:
@@ -110,7 +113,9 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dict[int, float]:
     """Posterior probability of good for each pattern. EM over (prior, accuracy among good, accuracy among bad).
 
-    Each accuracy has a Beta(8, 2) prior, which fixes which class is the good one and holds rules that rarely vote.
+    Each accuracy has a Beta(8, 2) prior, which fixes which class is the good one and holds rules that rarely vote. A
+    rule's bad votes are cast so late that at most RARE of the good documents get one; without that bound, a kind of bad
+    document that only few rules see would be taken for good ones with odd votes.
     """
     cast = np.stack([patterns // 3**k % 3 for k in reversed(range(len(RULES)))], axis=1) - 1
     plus, minus, c = (cast > 0).astype(float), (cast < 0).astype(float), counts.astype(float)
@@ -118,7 +123,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dict[int
     for _ in range(rounds):
         w, v = c * good, c * (1 - good)
         prior = (w.sum() + 8) / (c.sum() + 10)
-        yes = (w @ plus + 8) / (w @ (plus + minus) + 10)
+        yes = np.maximum((w @ plus + 8) / (w @ (plus + minus) + 10), 1 - RARE)
         no = (v @ minus + 8) / (v @ (plus + minus) + 10)
         score = np.log(prior / (1 - prior)) + plus @ np.log(yes / (1 - no)) + minus @ np.log((1 - yes) / no)
         good = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
@@ -126,7 +131,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dict[int
 
 
 def learn(measured_docs: DataFrame) -> dict[int, float]:
-    """The posterior of every vote pattern, from the pattern counts of all documents (at most 3 ** 8 rows)."""
+    """The posterior of every vote pattern, from the pattern counts of all documents (at most 3 ** 9 rows)."""
     rows = measured_docs.where("n_words > 0").groupBy("pattern").count().collect()
     return fit(np.array([r["pattern"] for r in rows], dtype=np.int64), np.array([r["count"] for r in rows], dtype=np.int64)) if rows else {}
 
