@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import mix64, pieces, shared_dir, staged, table, text_bytes
+from kelpline.llm.common import mix64, pieces, removed, shared_dir, staged, table, text_bytes
 
 FOLDS, HELD_OUT = 7, 2
 CHUNK, BUCKET_BYTES = 2_000_000, 12_000_000
@@ -237,6 +237,8 @@ def scored(docs: DataFrame) -> DataFrame:
     found = spark.read.schema(found.schema).parquet(path)
     keys = found.where(F.col("kind") != STREAM).select("kind", "chunk", "bucket", "keys", "counts")
     replies = staged(keys.groupBy("kind", "bucket").applyInPandas(summed, "chunk long, totals binary, kind int, bucket long, words long, tokens long"), "lm-replies")
+    for kind in (WORDS, PAIRS):  # summed up and answered: not read again
+        removed(spark, f"{path}/kind={kind}")
     own = replies.where(F.col("chunk") == -1).where(F.col("kind") == WORDS).agg(F.sum("words"), F.sum("tokens")).first()
     words, n = own[0] or 0, own[1] or 0
     both = found.where(F.col("kind") == STREAM).groupBy("chunk").cogroup(replies.where("chunk >= 0").select("chunk", "kind", "bucket", "totals").groupBy("chunk"))
