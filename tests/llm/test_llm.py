@@ -6,7 +6,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
-from conftest import odd_rows, prose
+from odd import odd_rows, prose
 from pyspark.sql import functions as F
 
 from kelpline.llm import op1_quality, op2_pii, op3_html, op4_lm, op5_mixing, op6_binary, op7_embeddings, op8_licenses, op9_neardup, op10_packing, queries, tokens
