@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,31 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpline.sources.staging import shared_dir, staged  # noqa: F401  for the operators
+from kelpline.sources.tables import table  # noqa: F401
+
 #: Fixed value: a word is a run of anything but space and \x09-\x0D. bytes.split() without arguments cuts exactly there.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kelpline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kelpline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a staged folder that no later step reads, on whatever file system it is."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -97,19 +77,30 @@ def cells(keys: list[np.ndarray], rank: np.ndarray) -> Iterator[np.ndarray]:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(v, component) of every vertex of the edges (a, b): the smallest vertex that it reaches.
 
-    Every round takes the least label among a vertex and its neighbours and then follows that label once
-    (pointer jumping), by joins and map-side combined minima only; each round's labels are a staged table. Ends
-    when a round changes nothing, so the rounds grow with the logarithm of the longest path.
+    By contraction: in each round a vertex joins the first of itself and its neighbours, in an order by degree and then by a
+    hash that is new each round. Chains of such steps are followed four deep, the edges get the new names, and those within a
+    name go. Stars are gone after a round and paths shrink by a factor, so the rounds grow with the logarithm of the size and
+    the work is mostly that of the first. Joins and map-side combined minima only; each round is a staged table.
     """
-    both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
-    both = staged(both.where("v <> u").distinct(), f"{name}-edges")
-    labels = staged(both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("component")), f"{name}-labels")
-    while True:
-        near = both.join(labels.select(F.col("v").alias("u"), "component"), "u").groupBy("v").agg(F.min("component").alias("near"))
-        step = labels.join(near, "v").select("v", F.col("component").alias("old"), F.least("component", "near").alias("to"))
-        jump = labels.select(F.col("v").alias("to"), F.col("component").alias("next"))
-        new = step.join(jump, "to", "left").select("v", "old", F.least("to", F.coalesce("next", "to")).alias("component"))
-        new = staged(new, f"{name}-labels")
-        labels = new.select("v", "component")
-        if new.where("component <> old").isEmpty():
-            return labels
+    edges = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-edges")
+    steps: list[DataFrame] = []
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
+        ranks = staged(both.groupBy("v").agg(F.count("*").alias("degree")).select("v", F.struct(-F.col("degree"), F.xxhash64("v", F.lit(len(steps))), "v").alias("rank")), f"{name}-ranks")
+        near = both.join(ranks.select(F.col("v").alias("u"), F.col("rank").alias("other")), "u").groupBy("v").agg(F.min("other").alias("other"))
+        step = staged(ranks.join(near, "v").select("v", F.least("rank", "other")["v"].alias("to")), f"{name}-step")
+        for _ in range(2):
+            step = step.join(step.select(F.col("v").alias("to"), F.col("to").alias("next")), "to").select("v", F.col("next").alias("to"))
+        step = staged(step, f"{name}-step")
+        for c in ("a", "b"):
+            edges = edges.join(step.select(F.col("v").alias(c), F.col("to").alias(f"new_{c}")), c)
+        edges = edges.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).where("a <> b").distinct()
+        edges = staged(edges, f"{name}-edges")
+        steps.append(step)
+    if not steps:
+        return edges.select(F.col("a").alias("v"), F.col("b").alias("component"))
+    roots = steps[-1].select("v", F.col("to").alias("root"))
+    for step in reversed(steps[:-1]):
+        roots = step.join(roots.select(F.col("v").alias("to"), "root"), "to", "left").select("v", F.coalesce("root", "to").alias("root"))
+    roots = staged(roots, f"{name}-roots")
+    return staged(roots.join(roots.groupBy("root").agg(F.min("v").alias("component")), "root").select("v", "component"), f"{name}-components")
