@@ -27,4 +27,5 @@ def test_stages(spark, sf):
             words = lambda rs: sum(len(brute.words(r["text"])) for r in rs)
             assert abs(words(rows) - words(seen["pii"])) < 0.1 * words(seen["pii"])
     assert {r["doc_id"] for r in seen["packing"]} == {r["doc_id"] for r in seen["mixing"]}
-    assert corpus_pipeline.run(spark, sf).count() == len(seen["packing"])
+    tokens = sum(r["length"] for r in seen["packing"])  # the pieces themselves depend on how the input is cut into partitions
+    assert sum(r["length"] for r in corpus_pipeline.run(spark, sf).collect()) == tokens
