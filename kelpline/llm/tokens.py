@@ -9,12 +9,24 @@ from itertools import product
 import numpy as np
 
 NAME = "byte_bpe_50k.json"
-#: White space but space and newline, as UTF-8, and what else the quick way leaves to the library:
-#: the mark that it cuts with, the start of a special token, and white space of three or, at the end, of two.
-ODD = tuple(chr(c).encode() for c in (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-ODD += (b"\0", b"<|", *(bytes(x) for x in product(b" \n", repeat=3)))
-ODD_ENDS = tuple(bytes(x) for x in product(b" \n", repeat=2))
-KEEP = 1_000_000
+#: White space but space and newline, as UTF-8, and what else the quick way leaves to the library: the
+#: mark that it cuts with, and the start of a special token.
+ODD_ASCII = (b"\t", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\0", b"<|")
+ODD_FAR = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+#: What all of those start with.
+FAR_STARTS = (b"\xc2", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
+BLANKS = tuple(bytes(x) for x in product(b" \n", repeat=2))
+LONG_BLANKS = tuple(bytes(x) for x in product(b" \n", repeat=3))
+KEEP = 1_500_000
+#: New words that go through the library as one text, a line each.
+LINES = 500
+
+
+def is_odd(text: bytes) -> bool:
+    """Whether it has white space that words can't be cut at alone: any but space and newline, three in a row, two at the end."""
+    if any(x in text for x in ODD_ASCII) or any(x in text for x in BLANKS) and (text.endswith(BLANKS) or any(x in text for x in LONG_BLANKS)):
+        return True
+    return not text.isascii() and any(x in text for x in FAR_STARTS) and any(x in text for x in ODD_FAR)
 
 
 def path(name: str = NAME) -> str:
@@ -38,16 +50,31 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.known, self.keep = Tokenizer.from_file(file), {}, keep
+        self.newline = np.frombuffer(self.whole([b"\n"])[0], "<u4")[0]
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
+    def words(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words without white space inside; an empty one and single white space among them."""
+        out = dict(zip(blank := [w for w in new if not w.strip(b" \n")], self.whole(blank), strict=True))
+        new = [w for w in new if w not in out]
+        groups = [new[at : at + LINES] for at in range(0, len(new), LINES)]
+        for group, e in zip(groups, self.library.encode_batch_fast([b"\n".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = [*(np.flatnonzero(ids == self.newline) * 4).tolist(), 4 * len(ids)]
+            blob, at = ids.tobytes(), 0
+            for w, end in zip(group, ends, strict=True):
+                out[w] = blob[at:end]
+                at = end + 4
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        odd = [t.endswith(ODD_ENDS) or any(x in t for x in ODD) for t in texts]
+        odd = list(map(is_odd, texts))
         words = [[] if o else t.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0") for t, o in zip(texts, odd, strict=True)]
         known = self.known
         new = list(set().union(*words).difference(known))
-        ids = dict(zip(new, self.whole(new), strict=True))
+        ids = self.words(new)
         room = self.keep - len(known)
         if len(new) <= room:
             known.update(ids)
