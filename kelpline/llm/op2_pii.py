@@ -2,10 +2,15 @@
 
 Four kinds are found by pattern (leftmost, not overlapping, each kind for itself). Their values are the protected
 entities. The corpus then tells which other terms reveal an entity: with N documents, entity e in c(e), term t in c(t)
-and t within REACH words of e on its line in c(e, t) of them, t discloses
+and both in c(e, t) of them, t discloses
     log(c(e, t) * N / (c(e) * c(t))) / log(N / c(e))
-of the information content of e. A term beside e in at least SUPPORT distinct texts that discloses THRESHOLD or more
-of it gets a span of kind `term` there, to be removed with it. c(t) is counted over all documents.
+of the information content of e. A term that stands with e in at least SUPPORT distinct texts and discloses THRESHOLD
+or more of it gets a span of kind `term` wherever it stands in a document that holds e, to be removed with it.
+
+Terms are all runs of letters, marks and digits outside of the pattern spans, of any length, in lower case; runs joined
+by one of ' . _ - are terms both as a whole and part by part. All counts are of whole documents. A term can disclose
+THRESHOLD of e only if c(t) <= N ** (1 - THRESHOLD) * c(e) ** THRESHOLD, as c(e, t) <= c(e): others are left out before pairs are
+made, which loses none.
 
 Patterns are written with possessive repeats, and start only where a run of their characters starts (or the last
 match ended). That finds the same valid matches as the plain patterns, in linear time and without recursion.
@@ -16,7 +21,9 @@ an empty result; extra columns don't matter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpline.llm.common import staged, table
@@ -33,7 +40,10 @@ PATTERNS = {
 #: A text without this character has no match.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-SUPPORT, THRESHOLD, REACH, SIDE = 3, 0.9, 4, 200
+SUPPORT, THRESHOLD = 3, 0.9
+#: Terms: single runs, and runs joined by one character. The latter start only where a run does, in linear time.
+RUN = r"[\p{L}\p{M}\p{N}]++"
+TERMS = (RUN, rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){RUN}(?:['\x{{2019}}._-]{RUN})++")
 #: What a removed span is replaced by.
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
 
@@ -78,57 +88,68 @@ def might(text: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """(k, start, end, value, left, right) by kind, then start; left and right: what stands beside it on its line."""
-    left = lambda s: F.element_at(F.split(F.substring(text, F.greatest(s["start"] - SIDE, F.lit(0)) + 1, F.least(s["start"], F.lit(SIDE))), "\n", -1), -1)
-    right = lambda s: F.element_at(F.split(F.substring(text, s["end"] + 1, F.lit(SIDE)), "\n", -1), 1)
+    """(k, start, end, value) by kind, then start."""
 
     def of(kind: str) -> Column:
         good = F.filter(places(text, PATTERNS[kind]), lambda s: valid(s["value"], kind))
-        spans = F.transform(good, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), left(s).alias("left"), right(s).alias("right")))
-        none = F.expr("cast(array() as array<struct<k:int,start:int,end:int,value:string,left:string,right:string>>)")
+        spans = F.transform(good, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+        none = F.expr("cast(array() as array<struct<k:int,start:int,end:int,value:string>>)")
         return F.when(F.contains(text, F.lit(NEEDS[kind])), spans).otherwise(none) if kind in NEEDS else spans
 
     return F.concat(*map(of, PATTERNS))
 
 
-def beside(found: DataFrame) -> DataFrame:
-    """(mark, docs, entity, term, start, end): the REACH words on each side of each base span of each distinct text.
+def distinct_terms(rest: Column) -> Column:
+    return F.array_distinct(F.concat(*(F.transform(F.regexp_extract_all(rest, F.lit(p), F.lit(0)), F.lower) for p in TERMS)))
 
-    A word that the cut at SIDE characters may have split isn't one.
-    """
-    once = found.groupBy("mark").agg(F.first("base").alias("base"), F.count("*").alias("docs"))
-    spans = once.select("mark", "docs", F.explode("base").alias("s")).select("mark", "docs", F.concat_ws(":", F.col("s.k"), F.lower("s.value")).alias("entity"), "s.start", "s.end", "s.left", "s.right")
-    whole = lambda w: (w["start"] > 0) | (F.length("left") < SIDE)
-    before = F.slice(F.reverse(F.filter(places(F.col("left"), r"(?<![^\x20\x09-\x0D])\p{L}{3,}+"), whole)), 1, REACH)
-    after = F.slice(F.filter(places(F.col("right"), r"(?<=[\x20\x09-\x0D])\p{L}{3,}+"), lambda w: w["end"] < SIDE), 1, REACH)
-    at = lambda words, by: F.transform(words, lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + by).alias("start"), (w["end"] + by).alias("end")))
-    words = F.concat(at(before, F.col("start") - F.length("left")), at(after, F.col("end")))
-    return spans.select("mark", "docs", "entity", F.explode(words).alias("w")).select("mark", "docs", "entity", "w.term", "w.start", "w.end")
+
+def placed(rows: DataFrame) -> DataFrame:
+    """(mark, term, start, end) of all terms of rows (mark, rest): places are sums of the lengths before them."""
+
+    def of(k: int) -> DataFrame:
+        gaps = F.transform(F.split("rest", TERMS[k], -1), F.length)
+        pairs = F.zip_with(gaps, F.regexp_extract_all("rest", F.lit(TERMS[k]), F.lit(0)), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
+        words = rows.select("mark", F.posexplode(pairs).alias("pos", "w")).where("w.hit is not null")
+        end = F.sum(F.col("w.gap") + F.length("w.hit")).over(Window.partitionBy("mark").orderBy("pos"))
+        return words.select("mark", F.lower("w.hit").alias("term"), (end - F.length("w.hit")).cast("int").alias("start"), end.cast("int").alias("end"))
+
+    return of(0).unionByName(of(1))
 
 
 def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(mark, terms): spans (k, start, end) of the terms to remove from each distinct text.
 
-    found: (mark, base) of all documents with base spans, texts: (text) of all documents.
+    found: (mark, base, rest) of all documents with base spans, texts: (text) of all documents. rest: the text with base
+    spans blanked out.
     """
     n = float(texts.count())
-    near = beside(found)
-    c_e = found.select("mark", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["k"], F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("c_e"))
-    c_et = near.groupBy("mark", "entity", "term").agg(F.first("docs").alias("docs")).groupBy("entity", "term").agg(F.sum("docs").alias("c_et"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\p{L})\p{L}{3,}+"), F.lit(0)))).alias("term"))
-    c_t = words.groupBy("term").agg(F.count("*").alias("c_t")).join(c_et.select("term").distinct(), "term", "left_semi")
-    gain = F.log(F.col("c_et") * n / (F.col("c_e") * F.col("c_t"))) / F.log(F.lit(n) / F.col("c_e"))
-    told = c_et.join(c_e, "entity").join(c_t, "term").where((F.col("c_e") < n) & (gain >= THRESHOLD)).select("entity", "term")
-    hits = near.join(told, ["entity", "term"]).groupBy("mark").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    return hits.select("mark", F.transform("terms", lambda s: F.struct(F.lit(TERM).alias("k"), s["start"].alias("start"), s["end"].alias("end"))).alias("terms"))
+    once = staged(found.groupBy("mark").agg(F.count("*").alias("docs"), F.first("base").alias("base"), F.first("rest").alias("rest")), "pii-once")
+    entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["k"], F.lower(s["value"]))))
+    held = once.select("mark", "docs", F.explode(entities).alias("entity"))
+    c_e = held.groupBy("entity").agg(F.sum("docs").alias("c_e"), F.count("*").alias("texts")).where((F.col("texts") >= SUPPORT) & (F.col("c_e") < n)).select("entity", "c_e")
+    held = staged(held.join(c_e, "entity"), "pii-held")
+    marks = held.groupBy("mark").agg(F.max("c_e").alias("most"))
+    terms = once.join(marks, "mark").select("mark", "most", F.explode(distinct_terms(F.col("rest"))).alias("term"))
+    # in documents that might have spans, terms are counted outside of them
+    rest = F.when(might(F.col("text")), blanked(F.col("text"), base_spans(F.col("text")))).otherwise(F.col("text"))
+    c_t = texts.select(F.explode(distinct_terms(rest)).alias("term")).groupBy("term").agg(F.count("*").alias("c_t")).where(F.col("c_t") >= SUPPORT)
+    can = lambda c: F.log(n / F.col("c_t")) >= THRESHOLD * F.log(n / F.col(c)) - 1e-9
+    rare = staged(terms.join(c_t, "term").where(can("most")).select("mark", "term", "c_t"), "pii-rare")
+    pairs = rare.join(held, "mark").where(can("c_e"))
+    gain = F.log(F.col("c_et") * n / (F.col("c_e") * F.col("c_t"))) / F.log(n / F.col("c_e"))
+    c_et = pairs.groupBy("entity", "term").agg(F.sum("docs").alias("c_et"), F.count("*").alias("texts"), F.first("c_e").alias("c_e"), F.first("c_t").alias("c_t"))
+    told = c_et.where((F.col("texts") >= SUPPORT) & (gain >= THRESHOLD)).select("entity", "term")
+    hits = staged(pairs.join(told, ["entity", "term"]).select("mark", "term").distinct(), "pii-hits")
+    where = placed(once.join(hits.select("mark").distinct(), "mark", "left_semi").select("mark", "rest")).join(hits, ["mark", "term"])
+    return where.groupBy("mark").agg(F.array_sort(F.collect_set(F.struct(F.lit(TERM).alias("k"), "start", "end"))).alias("terms"))
 
 
 def spans_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, mark, base, terms) of the documents that have base spans; mark: of equal texts."""
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = texts.where(might(F.col("text"))).select("key", F.md5("text").alias("mark"), base_spans(F.col("text")).alias("base"))
-    found = staged(found.where(F.size("base") > 0), "pii")
-    terms = disclosing(found.select("mark", "base"), texts.select("text"))
+    found = texts.where(might(F.col("text"))).select("key", "text", F.md5("text").alias("mark"), base_spans(F.col("text")).alias("base"))
+    found = staged(found.where(F.size("base") > 0).select("key", "mark", "base", blanked(F.col("text"), F.col("base")).alias("rest")), "pii")
+    terms = disclosing(found.select("mark", "base", "rest"), texts.select("text"))
     none = F.expr("cast(array() as array<struct<k:int,start:int,end:int>>)")
     bare = F.transform("base", lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end")))
     return found.join(terms, "mark", "left").select("key", "mark", bare.alias("base"), F.coalesce("terms", none).alias("terms"))
@@ -151,7 +172,16 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), *map(count, PATTERNS), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.concat("base", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_term"))
 
 
-def cleaned(text: Column, spans: Column) -> Column:
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of all characters of spans."""
+    return cleaned(text, spans, lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
+
+
+def label(s: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, LABELS)), s["k"] + 1)
+
+
+def cleaned(text: Column, spans: Column, label: Callable[[Column], Column] = label) -> Column:
     """The text with each run of overlapping spans replaced by the label of its first."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
     begin = F.expr("cast(array() as array<struct<start:int,end:int,k:int>>)")
@@ -162,7 +192,6 @@ def cleaned(text: Column, spans: Column) -> Column:
         return F.when((n > 0) & (last["end"] > s["start"]), joined).otherwise(F.concat(done, F.array(s)))
 
     merged = F.aggregate(ordered, begin, put)
-    label = lambda s: F.element_at(F.array(*map(F.lit, LABELS)), s["k"] + 1)
     ends = F.concat(F.array(F.lit(0)), F.transform(merged, lambda s: s["end"]))
     parts = F.zip_with(F.slice(ends, 1, F.size(merged)), merged, lambda at, s: F.concat(F.substring(text, at + 1, s["start"] - at), label(s)))
     return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))

@@ -1,6 +1,8 @@
 """The training-data operators against plain versions, on supplied rows and on odd ones."""
 
 import collections
+import math
+import re
 import zlib
 
 import brute
@@ -96,6 +98,42 @@ def test_pii_terms_and_cleaning(spark):
     assert all(clean[i]["n_chars"] == len(clean[i]["text"]) for i in range(6))
 
 
+def brute_terms(docs):
+    """{doc_id: (start, end) of all disclosing terms}, from whole documents."""
+    run = r"[^\W_]+"
+    held, terms = {}, {}
+    for i, t in docs:
+        rest, held[i], terms[i] = t, set(), collections.defaultdict(set)
+        for k, a, b in brute.spans(t):
+            held[i].add((k, t[a:b].lower()))
+            rest = rest[:a] + " " * (b - a) + rest[b:]
+        for m in (m for p in (run, rf"{run}(?:['._-]{run})+") for m in re.finditer(p, rest)):
+            terms[i][m.group().lower()].add(m.span())
+    n, c_t = len(docs), collections.Counter(t for i, _ in docs for t in terms[i])
+    text, out = dict(docs), {i: set() for i, _ in docs}
+    for e in set().union(*held.values()):
+        ids = [i for i in held if e in held[i]]
+        for t in set().union(*(terms[i] for i in ids)):
+            both = [i for i in ids if t in terms[i]]
+            if len({text[i] for i in both}) >= op2_pii.SUPPORT and math.log(len(both) * n / (len(ids) * c_t[t])) / math.log(n / len(ids)) >= op2_pii.THRESHOLD:
+                for i in both:
+                    out[i] |= terms[i][t]
+    return out
+
+
+def test_pii_terms_everywhere(spark):
+    """Disclosing terms on other lines, far away, short, with digits or an apostrophe: each place, against brute force."""
+    rows = [(i, f"Name: Zebulon O'Brien, {prose(i, 30)}\nof id AB-77, {prose(i + 50, 30)}\nMail: z@x.org {prose(i + 90, 30)}\n李明 and Zebulon's {i}") for i in range(5)]
+    rows += [(5, rows[0][1]), *((i, f"{prose(i, 60)} name mail of and id") for i in range(6, 60)), (60, "Only +1 555 010 7788 calls"), (61, None), (62, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_terms([(i, t or "") for i, t in rows])
+    got = {r["key"]: {(s["start"], s["end"]) for s in r["terms"]} for r in op2_pii.spans_of(docs).collect()}
+    assert all(got.get(i, set()) == want[i] for i, _ in rows) and len(want[0]) >= 6
+    for i, r in by_id(op2_pii.sanitised(docs)).items():
+        assert i > 5 or not any(x in r["text"] for x in ("Zebulon", "Brien", "AB-77", "李明", "z@x.org"))
+        assert i <= 5 or i == 60 or r["text"] == rows[i][1]
+
+
 def test_pii_keeps_rows(clash, none):
     out = op2_pii.sanitised(clash)
     assert out.columns == clash.columns and out.count() + clash.where("text is null").count() >= clash.count()
