@@ -1,9 +1,13 @@
 """Licence scans by sentence rules. DataFrame functions only.
 
 Texts are cut into sentences, these are normalised (lower case, runs of other than letters and digits as one space) and
-looked up among known licence sentences. The sequence of identifiers found is matched against licence rules, each
+looked up among known licence sentences. A line end within a paragraph is white space; a sentence that isn't known so is
+cut at its line ends too, for notices that stand on a line of their own without a full stop. The sequence of identifiers found is matched against licence rules, each
 an ordered list of identifiers that must follow one another.
 
+The SQL knows SENTENCES and RULES only and ends sentences at line ends. It gives the same rows where no licence is
+wrapped or stated by one of PUBLISHED, as in the supplied tables.
+
 Defined results: null is an empty text, in which nothing is found; repeated rows get the same result each; an empty
 table gives an empty result; extra columns don't matter.
 """
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 from kelpline.llm.common import table
 
-#: Sentences of public licences and notices, as they stand in those texts.
+#: Notices, and sentences of public licences, some of them shortened.
 SENTENCES = (
     ("mit-notice", "Released under the MIT License."),
     ("mit-licensed", "Licensed under the MIT License."),
@@ -39,6 +43,17 @@ SENTENCES = (
     ("gpl-hope", "This program is distributed in the hope that it will be useful, but without any warranty."),
     ("rights", "All rights reserved."),
 )
+#: Sentences in full, as published (GPL: what follows the colon, where its sentence is cut).
+PUBLISHED = (
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("as-is", "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."),
+    ("apache-notice", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("apache-notice", "Licensed under the Apache License, Version 2.0 (the \"License\");"),
+    ("gpl-free", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-free", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("gpl2-free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-hope", "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose."),
+)
 #: Licence, whether it permits reuse of any kind, and the sentences that state it, in order.
 RULES = (
     ("MIT", True, ("mit-notice",)),
@@ -58,10 +73,13 @@ RULES = (
     ("BSD-3-Clause", True, ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("All-rights-reserved", False, ("rights",)),
 )
+#: Rules with sentences of PUBLISHED only.
+MORE_RULES = (("GPL-2.0", False, ("gpl2-free", "gpl-hope")),)
 #: Every known sentence holds one of these; a text without any has no sentence to look up.
 ANCHOR = r"(?i)licen[cs]e|CC0|permission|copyright|as is|redistribut|free software|warranty|rights reserved"
-#: A sentence ends at a line's end, or after . ! ? : before white space.
-CUT = r"\n|(?<=[.!?:])[\x20\x09-\x0D]+"
+#: A sentence ends after . ! ? : before white space, before a line without letters and digits, or before a bullet.
+BULLET = r"[\x20\t]*+(?:[-+\x{2022}]|\(?(?:[0-9]{1,2}|[A-Za-z])[.)])[\x20\t]++"
+CUT = rf"(?<=[.!?:])[\x20\x09-\x0D]++|\n(?=[^\p{{L}}\p{{N}}\n]*+\n)|\n(?={BULLET})"
 
 
 def normal(text: str) -> str:
@@ -70,17 +88,27 @@ def normal(text: str) -> str:
 
 
 def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(sentence, rf"^\s*+{BULLET}", "")), r"[^\p{L}\p{N}]+", " "))
 
 
 #: v. 2.0. in the notice of the MPL is cut after "v.", so its last part is known as its own sentence would be.
 KNOWN = {normal(s if name != "mpl-notice" else s.removesuffix(" 2.0.")): name for name, s in SENTENCES}
 
 
+ALL_KNOWN = KNOWN | {normal(s): name for name, s in PUBLISHED}
+
+
 def sequence(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in their order."""
-    known = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
-    ids = F.filter(F.transform(F.split(text, CUT, -1), lambda s: F.element_at(known, normalised(s))), lambda x: x.isNotNull())
+    known = F.create_map(*(F.lit(x) for pair in ALL_KNOWN.items() for x in pair))
+    look = lambda s: F.element_at(known, normalised(s))
+
+    def of(sentence: Column) -> Column:
+        lines = F.when(F.contains(sentence, F.lit("\n")), F.transform(F.split(sentence, "\n", -1), look)).otherwise(F.expr("cast(array() as array<string>)"))
+        whole = look(sentence)
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(lines)
+
+    ids = F.filter(F.flatten(F.transform(F.split(text, CUT, -1), of)), lambda x: x.isNotNull())
     return F.when(F.coalesce(text.rlike(ANCHOR), F.lit(False)), ids).otherwise(F.expr("cast(array() as array<string>)"))
 
 
@@ -88,7 +116,7 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """(key, sequence, n_sentences, licences, n_licences, permissive) of each document."""
     rows = docs.select(F.col(key), F.array_join(sequence(F.col(text)), ",").alias("sequence"))
     stands = lambda ids: F.contains(F.concat(F.lit(","), "sequence", F.lit(",")), F.lit(f",{','.join(ids)},"))
-    names = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(stands(ids), F.lit(name)) for name, _, ids in RULES)))))
+    names = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(stands(ids), F.lit(name)) for name, _, ids in RULES + MORE_RULES)))))
     permits = {name: free for name, free, _ in RULES}
     rows = rows.select("*", names.alias("names"))
     free = F.forall("names", lambda x: x.isin([n for n, ok in permits.items() if ok]))
