@@ -14,7 +14,8 @@ never grow with the square of a group. A pair at the threshold meets in a tree w
 trees with 0.9999.
 
 Defined results: null, empty and wordless texts have the empty set and link with nothing; repeated rows are a class; an
-empty table gives an empty result; extra columns don't matter. A null doc_id has no component of its own.
+empty table gives an empty result; extra columns don't matter. Rows are told apart by a number of their own, so an id may
+be null or stand for several texts. A component is named by its smallest id, which is null if all of its ids are.
 """
 
 from __future__ import annotations
@@ -230,15 +231,20 @@ def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: in
     return rows.dropDuplicates(["class"]).mapInArrow(run, "class long, set binary")
 
 
-def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id) of each document; component_id is the smallest id that links reach."""
+def numbered(docs: DataFrame, columns: list) -> DataFrame:
+    """The columns with a staged number of each row, `row`."""
+    return staged(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "neardup-rows")
+
+
+def grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(row, n_shingles, component) of rows (row, text); component is the smallest row that links reach."""
     name = "neardup"
-    sketches = staged(sketched(docs, key, text, words), f"{name}-sketch")
-    classes = sketches.where("set_id is not null and key is not null").groupBy("set_id").agg(F.min("key").alias("class"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    sketches = staged(sketched(rows, "row", "text", words), f"{name}-sketch")
+    classes = sketches.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("class"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = staged(classes, f"{name}-classes")
     first = staged(compared(nodes(classes, name), percent), f"{name}-pairs")
     families = components(first, name).select(F.col("v").alias("class"), F.col("component").alias("family"))
-    sets = staged(full_sets(docs, families, key, text, words), f"{name}-sets")
+    sets = staged(full_sets(rows, families, "row", "text", words), f"{name}-sets")
     links = staged(confirmed(first, sets, percent), f"{name}-links")
     found = components(links, name)
     of = families.join(found.withColumnRenamed("v", "class"), "class", "left").select("family", "class", F.coalesce("component", "class").alias("component"))
@@ -246,8 +252,16 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     wider = components(more, name).select(F.col("v").alias("component"), F.col("component").alias("wider"))
     found = of.join(wider, "component", "left").select("class", F.coalesce("wider", "component").alias("component"))
     joined = classes.select("set_id", "class").join(found, "class", "left").select("set_id", F.coalesce("component", "class").alias("component"))
-    some = sketches.where("set_id is not null").join(joined, "set_id", "left").select("key", "n_shingles", F.coalesce("component", "key").alias("component_id"))
-    return some.unionByName(sketches.where("set_id is null").select("key", "n_shingles", F.col("key").alias("component_id")))
+    some = sketches.where("set_id is not null").join(joined, "set_id").select(F.col("key").alias("row"), "n_shingles", "component")
+    return some.unionByName(sketches.where("set_id is null").select(F.col("key").alias("row"), "n_shingles", F.col("key").alias("component")))
+
+
+def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(key, n_shingles, component_id) of each document; component_id is the smallest id that links reach."""
+    rows = numbered(docs, [F.col(key).alias("key"), F.col(text).alias("text")])
+    found = staged(rows.select("row", "key").join(grouped(rows.select("row", "text"), words, percent), "row"), "neardup-found")
+    names = found.groupBy("component").agg(F.min("key").alias("component_id"))
+    return found.join(names, "component").select("key", "n_shingles", "component_id")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,6 +270,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, with all columns: that with the smallest doc_id (of repeated rows, each stays once)."""
-    gone = linked(docs, words=words, percent=percent).where("key <> component_id").select(F.col("key").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component, with all columns: that with the smallest doc_id, nulls last, and of these the first row."""
+    names = docs.columns
+    rows = numbered(docs, [F.struct(*names).alias("doc")])
+    found = grouped(rows.select("row", F.col("doc.text").alias("text")), words, percent)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("row")
+    kept = rows.select("row", F.col("doc.doc_id").alias("id")).join(found, "row").groupBy("component").agg(first).select("row")
+    return rows.join(kept, "row", "left_semi").select(*(F.col("doc")[c].alias(c) for c in names))

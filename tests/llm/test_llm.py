@@ -429,6 +429,17 @@ def test_deduplicated(clash, documents, texts):
     assert {r["doc_id"] for r in op9_neardup.deduplicated(documents).collect()} == want
 
 
+def test_deduplicated_rows(spark):
+    """Repeated rows, null ids, and one id with two texts: one row of each group stays."""
+    a, b, c, d, e = (prose(k, 60) for k in range(20, 25))
+    rows = [(1, a), (1, a), (1, a), (2, a), (None, b), (None, b), (5, b), (None, c), (None, c), (7, a), (7, d), (8, e), (8, e + " more"), (9, d), (0, d + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"][:40]) for r in op9_neardup.deduplicated(docs).collect())
+    assert got == sorted([(1, a[:40]), (5, b[:40]), (-1, c[:40]), (0, d[:40]), (8, e[:40])])
+    odd_ids = sorted((r["key"], r["component_id"]) for r in op9_neardup.linked(docs.where("doc_id in (7, 9, 1)")).collect())
+    assert odd_ids == [(1, 1), (1, 1), (1, 1), (7, 1), (7, 7), (9, 7)]
+
+
 def test_components(spark):
     n = 200
     edges = [(i, i + 1) for i in range(n)] + [(1000, 1001), (1002, 1001), (7, 7)]
