@@ -1,7 +1,9 @@
 """Main text of HTML pages by tree scoring.
 
 A page becomes a small tree. What can't be main text (menus, headers, footers, sidebars, notices, adverts, comments,
-forms, scripts, styles) is left out by tag, role, or class and id. Each paragraph then gives points for its length and commas to
+controls, scripts, styles) is left out by tag, role, or class and id. Unlikely classes and ids, and forms, leave an
+element out only after its paragraphs are known: not if its names are likely ones too, nor if it holds most of the page's
+points while nothing likely stands outside of it, as wrappers of whole pages do. Each paragraph then gives points for its length and commas to
 its parent, half of them to the next ancestor and less to those above; a container's points are discounted by its
 share of linked text. The best container is kept with those siblings that score well too or are dense plain text.
 
@@ -25,10 +27,12 @@ ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
-OUT = frozenset("head script style noscript template nav header footer aside form button select option textarea iframe object svg canvas menu dialog title xmp noembed noframes fieldset label audio video map".split())
+OUT = frozenset("head script style noscript template nav header footer aside button select option textarea iframe object svg canvas menu dialog title xmp noembed noframes fieldset label audio video map".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose direct text counts as a paragraph.
 PARAGRAPH = frozenset("p pre td blockquote div section article dd li body".split())
+#: Of these, all text counts, and for their parents.
+OWN = frozenset("p pre td blockquote dd li".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element is ended by the start of any of these.
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt"} | {"li", "dd", "dt"}
@@ -39,12 +43,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 
 
 class Node:
-    __slots__ = ("commas", "kids", "length", "linked", "parent", "score", "tag", "weight")
+    __slots__ = ("commas", "doubtful", "kids", "length", "likely", "linked", "parent", "points", "score", "tag", "weight")
 
     def __init__(self, tag: str, parent: Node | None, weight: float = 0.0):
         self.tag, self.parent, self.weight = tag, parent, weight
         self.kids: list[Node | str] = []
-        self.score = 0.0
+        self.score = self.points = 0.0
+        self.doubtful = self.likely = False
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -52,7 +57,7 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def parse(page: str) -> Node:
-    """The tree without the parts that can't be main text."""
+    """The tree without the parts that can't be main text; elements that may be such a part are marked as doubtful."""
     root = node = Node("html", None)
     at, skip, depth = 0, "", 0  # skip: the tag of the left-out element that is open, depth: of how many such
 
@@ -92,14 +97,16 @@ def parse(page: str) -> Node:
             continue
         if empty or tag in ("html", "body") and node is root and tag == "html":
             continue
-        weight = 0.0
+        weight, likely, doubtful = 0.0, tag in ("article", "main"), tag == "form"
         if m[3]:
             has = attributes(m[3])
             names = f"{has.get('class', '')} {has.get('id', '')}"
-            if tag in OUT or tag not in ("body", "article", "main") and (UNLIKELY.search(names) or has.get("role", "").lower() in ROLES or "hidden" in has or has.get("aria-hidden") == "true"):
+            if tag in OUT or tag not in ("body", "article", "main") and (has.get("role", "").lower() in ROLES or "hidden" in has or has.get("aria-hidden") == "true"):
                 skip, depth = tag, 1
                 continue
-            weight = 25.0 * bool(LIKELY.search(names))
+            named = bool(LIKELY.search(names))
+            weight, likely = 25.0 * named, likely or named
+            doubtful = tag not in ("body", "article", "main") and not named and (doubtful or bool(UNLIKELY.search(names)))
         elif tag in OUT:
             skip, depth = tag, 1
             continue
@@ -112,6 +119,7 @@ def parse(page: str) -> Node:
         if node.tag in ENDS and tag in ENDS[node.tag] and node.parent is not None:
             node = node.parent
         child = Node(tag, node, weight + {"article": 30.0, "main": 30.0, "section": 5.0, "div": 5.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0}.get(tag, 0.0))
+        child.likely, child.doubtful = likely and tag != "body", doubtful
         node.kids.append(child)
         node = child
     if "<" in (rest := page[at:]) and re.match(r"[^<]*<[A-Za-z/!?]", rest):
@@ -120,8 +128,39 @@ def parse(page: str) -> Node:
     return root
 
 
-def score(root: Node) -> list[Node]:
-    """Sets length, commas and linked of all nodes, and score of containers, which are returned in page order."""
+def points(node: Node) -> float:
+    """What a paragraph gives by its own length and commas, 0 for other elements; length and commas are set."""
+    own = node.tag in OWN
+    chars, commas = (node.length, node.commas) if own else (sum(len(k.strip()) for k in node.kids if isinstance(k, str)), sum(k.count(",") for k in node.kids if isinstance(k, str)))
+    return 0.0 if node.tag not in PARAGRAPH or chars < 10 else 1 + commas + min(chars / 100, 3) + chars / 1000
+
+
+def pruned(root: Node) -> None:
+    """Takes doubtful elements out of the tree, but for wrappers of most of the page outside of which nothing likely stands."""
+    order = measured(root)
+    for node in reversed(order):
+        node.points = points(node) + sum(k.points for k in node.kids if isinstance(k, Node))
+    top, most = root, root.points / 2
+    while True:  # down from wrapper to wrapper: what is doubtful in top and in no other doubtful element, and whether all else is unlikely
+        found, clear, stack = [], True, [(k, top.likely) for k in top.kids if isinstance(k, Node)]
+        while stack:
+            node, likely = stack.pop()
+            if node.doubtful:
+                found.append(node)
+                continue
+            likely = likely or node.likely
+            clear = clear and not (likely and points(node))
+            stack.extend((k, likely) for k in node.kids if isinstance(k, Node))
+        wrapper = next((n for n in found if clear and n.points > most), None)
+        if wrapper is None:
+            break
+        wrapper.doubtful, top = False, wrapper
+    for node in order:
+        node.kids = [k for k in node.kids if isinstance(k, str) or not k.doubtful]
+
+
+def measured(root: Node) -> list[Node]:
+    """Sets length, commas and linked of all nodes, which are returned in page order."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -137,18 +176,22 @@ def score(root: Node) -> list[Node]:
                 node.length, node.commas, node.linked = node.length + k.length, node.commas + k.commas, node.linked + k.linked
         if node.tag == "a":
             node.linked = node.length
+    return order
+
+
+def score(root: Node) -> list[Node]:
+    """Sets length, commas and linked of all nodes, and score of containers, which are returned in page order."""
+    order = measured(root)
     scored: dict[int, Node] = {}
     for node in order:
-        own = node.tag in ("p", "pre", "td", "blockquote", "dd", "li")
-        chars, commas = (node.length, node.commas) if own else (sum(len(k.strip()) for k in node.kids if isinstance(k, str)), sum(k.count(",") for k in node.kids if isinstance(k, str)))
-        if node.tag not in PARAGRAPH or chars < 10:
+        given = points(node)
+        if not given:
             continue
-        points = 1 + commas + min(chars / 100, 3) + chars / 1000
-        up, level = node.parent if own else node, 0
+        up, level = node.parent if node.tag in OWN else node, 0
         while up is not None and level < 5:
             if id(up) not in scored:
                 scored[id(up)], up.score = up, up.weight
-            up.score += points / (1, 2, 6, 9, 12)[level]
+            up.score += given / (1, 2, 6, 9, 12)[level]
             up, level = up.parent, level + 1
     for node in scored.values():
         node.score *= 1 - density(node)
@@ -183,6 +226,7 @@ def blocks(node: Node, out: list[list[str]]) -> None:
 def extract(page: str) -> str:
     """The main text of a page, one line a block."""
     root = parse(page)
+    pruned(root)
     ranked = score(root)
     if not ranked:
         kept = [root]

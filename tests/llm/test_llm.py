@@ -158,6 +158,18 @@ def test_html(page, text):
     assert op3_html.extract(page or "") == text
 
 
+@pytest.mark.parametrize("open_", ['<div class="content with-sidebar">', "<div class='page has-sidebar'>", '<div class="layout no-comments">', '<div id="post-search-for-x">', '<div class="entry social-issues">', '<form action="x.aspx"><input name="v"><select><option>no</select>', '<form><div class="layout no-comments">'])
+def test_html_wrappers(open_):
+    """Pages in a wrapper of an unlikely name, or in one form; menus and comments in it still go."""
+    body = "<p>The first paragraph, it is long enough.</p><p>The second, it is long enough too.</p>"
+    page = f"<body><div class='menu'><a href=x>Menu, of links</a></div>{open_}{body}<div class='comments'><p>Nice.</p></div></body>"
+    assert op3_html.extract(page) == "The first paragraph, it is long enough.\nThe second, it is long enough too."
+
+
+def test_html_nested_wrappers():
+    assert op3_html.extract("<div class='ad'>" * 3000 + "<p>deep, deep text is here.</p>") == "deep, deep text is here."
+
+
 def test_html_deep_and_long():
     assert op3_html.extract("<div>" * 5000 + "<p>deep, deep text is here.</p>") == "deep, deep text is here."
     assert len(op3_html.extract("<article>" + "<p>word, word and more of it.</p>" * 20_000)) == 20_000 * 27 - 1
