@@ -38,6 +38,17 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def batches_of(texts: list[bytes], size: int = 4_000_000) -> list[slice]:
+    """Slices of at most that many bytes, or of one text."""
+    out, begin, held = [], 0, 0
+    for k, t in enumerate(texts):
+        if held and held + len(t) > size:
+            out.append(slice(begin, k))
+            begin, held = k, 0
+        held += len(t)
+    return [*out, slice(begin, len(texts))] if texts else []
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of unsigned 64-bit values."""
     with np.errstate(over="ignore"):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpline.llm import tokens
-from kelpline.llm.common import pieces, shared_dir, table, text_bytes
+from kelpline.llm.common import batches_of, pieces, shared_dir, table, text_bytes
 
 BLOCK, CHUNK, END, LEVEL = 1 << 16, 1 << 18, 0, 3
 
@@ -99,7 +99,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, bits: bool
 
         for batch in pieces(batches):
             key, text = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for s in tokens.batches_of(text):
+            for s in batches_of(text):
                 for k, x in zip(key[s], encode(text[s]), strict=True):
                     keys.append(k)
                     ids.append(x + END.to_bytes(4, "little"))
