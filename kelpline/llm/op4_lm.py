@@ -7,15 +7,21 @@ learns them on held-out counts: every training token is held out once, its own o
 How it runs: tasks turn documents into chunks of about CHUNK tokens. A chunk sends each of its distinct words and
 bigrams once, as a 64-bit hash with its training count, to the bucket of the hash; so a frequent one weighs no more than a rare one.
 Buckets add the counts up and send each chunk the totals of what it sent, in its order. With these, chunks score their
-documents. Chunks and replies are staged tables; nothing of the corpus reaches the driver but the number of tokens and
+documents. A chunk writes FAN rows at any size of input. Where FAN buckets would be too large, sums of FAN chunks are
+dealt out to FAN buckets of each, and so on: an exchange of several levels, whose replies go back the same way. Chunks and replies are
+staged tables; nothing of the corpus reaches the driver but the number of tokens and
 words, and the counts of (frequency bucket, bigram bin, unigram bin), at most 64 * BINS ** 2 rows at any size of input.
 
+`score` is the model's log10 probability of the text. `deleted_score` is the same with each training token's own
+occurrence deleted from its counts, as in learning: documents that the model has not seen elsewhere score as if held out.
+
 Defined results: null is an empty text, whose only token is the end; a null doc_id counts as training; repeated rows
 count and are scored each; an empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,9 +36,11 @@ from pyspark.sql import functions as F
 from kelpline.llm.common import mix64, pieces, removed, shared_dir, staged, table, text_bytes
 
 FOLDS, HELD_OUT = 7, 2
-CHUNK, BUCKET_BYTES = 2_000_000, 12_000_000
+CHUNK, BUCKET_BYTES, FAN = 2_000_000, 12_000_000, 128
 #: Bins of log10 probability for the weights: 0.1 wide; bin 0 holds what is 0.
 BINS, ROUNDS = 121, 100
+#: Tokens whose probabilities are computed at a time.
+SLICE = 250_000
 STREAM, WORDS, PAIRS = 0, 1, 2
 
 
@@ -79,7 +87,16 @@ def pair_keys(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return mix64(mix64(hashes[codes // len(hashes)]) ^ (hashes[codes % len(hashes)] >> np.uint64(1)))
 
 
-def chunks(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dealt(keys: np.ndarray, counts: np.ndarray, fan: int, within: int = 0, of: int = 1) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, keys, counts) of ascending keys of bucket `within` of `of`, dealt out to its `fan` buckets."""
+    edges = np.searchsorted(bucket_of(keys, of * fan), np.arange(within * fan, (within + 1) * fan + 1))
+    for k in range(fan):
+        s = slice(edges[k], edges[k + 1])
+        if s.stop > s.start:
+            yield within * fan + k, squeezed(np.diff(keys[s], prepend=np.uint64(0))), squeezed(counts[s])
+
+
+def chunks(docs: DataFrame, fan: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(kind, chunk, bucket, keys, counts, docs, lengths): of each chunk its stream of tokens, and keys by bucket.
 
     A stream's `keys` are the hashes of its words in the order of their numbers, and its `counts` are the tokens' numbers. 0 is the end.
@@ -96,6 +113,7 @@ def chunks(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text
         def closed() -> pa.RecordBatch:
             lengths = np.array([len(p) for p in parts], np.int64)
             tokens = np.concatenate(parts)
+            parts.clear()
             # frequent words get low numbers, which compress well
             count = np.bincount(tokens, minlength=len(ids))
             count[0] = len(tokens) + 1
@@ -104,21 +122,24 @@ def chunks(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text
             number[order] = np.arange(len(order))
             tokens = number[tokens]
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids))[order]
+            del count, order, number
+            ids.clear()
             trains = np.repeat(~np.array([is_held_out(d) for d in doc_ids]), lengths)
             rows = [(STREAM, chunk, -1, hashes.tobytes(), squeezed(tokens.astype(np.int32)), doc_ids, lengths.tolist())]
             codes = pairs_of(tokens, lengths, hashes)[1]
-            for kind, all_, some in ((WORDS, np.arange(len(hashes)), tokens[trains]), (PAIRS, np.unique(codes), codes[trains])):
-                keys = hashes if kind == WORDS else pair_keys(all_, hashes)
-                found, n = np.unique(some, return_counts=True)
-                counts = np.zeros(len(all_), np.int32)
-                counts[np.searchsorted(all_, found)] = n
-                by = np.argsort(keys, kind="stable")
-                keys, counts = keys[by], counts[by]
-                edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-                for b in range(buckets):
-                    s = slice(edges[b], edges[b + 1])
-                    if s.stop > s.start:
-                        rows.append((kind, chunk, b, squeezed(np.diff(keys[s], prepend=np.uint64(0))), squeezed(counts[s]), None, None))
+            by = np.argsort(hashes)
+            rows.extend((WORDS, chunk, *row, None, None) for row in dealt(hashes[by], np.bincount(tokens[trains], minlength=len(hashes))[by], fan))
+            del tokens
+            some, all_ = codes[trains], np.unique(codes)
+            del codes
+            some, n = np.unique(some, return_counts=True)
+            counts = np.zeros(len(all_), np.int64)
+            counts[np.searchsorted(all_, some)] = n
+            del some, n
+            keys = pair_keys(all_, hashes)
+            del all_
+            by = np.argsort(keys)
+            rows.extend((PAIRS, chunk, *row, None, None) for row in dealt(keys[by], counts[by], fan))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in pieces(batches, 256):
@@ -139,19 +160,52 @@ def chunks(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "kind int, chunk long, bucket long, keys binary, counts binary, docs array<long>, lengths array<long>")
 
 
-def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The totals of one bucket for each chunk, in the chunk's order; chunk -1: number of words and tokens."""
+def added(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(keys of each row, all distinct ones, sums of their counts)."""
     keys = [np.cumsum(expanded(x, "<u8"), dtype=np.uint64) for x in pdf["keys"]]
-    counts = np.concatenate([expanded(x, "<i4") for x in pdf["counts"]])
+    counts = np.concatenate([expanded(x, "<i8") for x in pdf["counts"]])
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
-    out, at = [], 0
-    for chunk, k in zip(pdf["chunk"], keys, strict=True):
-        out.append((int(chunk), squeezed(total[place[at : at + len(k)]])))
-        at += len(k)
-    kind, bucket = int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0])
-    rows = pd.DataFrame(out, columns=["chunk", "totals"]).assign(kind=kind, bucket=bucket, words=0, tokens=0)
-    return pd.concat([rows, pd.DataFrame({"chunk": [-1], "totals": [b""], "kind": [kind], "bucket": [bucket], "words": [int((total > 0).sum())], "tokens": [int(total.sum())]})])
+    return keys, distinct, np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
+
+
+def answers(pdf: pd.DataFrame, keys: list[np.ndarray], distinct: np.ndarray, total: np.ndarray) -> pd.DataFrame:
+    """The totals of each row's keys, in their order."""
+    found = [squeezed(total[np.searchsorted(distinct, k)]) for k in keys]
+    return pd.DataFrame({"chunk": pdf["chunk"], "totals": found, "kind": pdf["kind"], "bucket": pdf["bucket"], "words": 0, "tokens": 0})
+
+
+REPLY = "chunk long, totals binary, kind int, bucket long, words long, tokens long"
+
+
+def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The totals of one bucket for each chunk, in the chunk's order; chunk -1: number of words and tokens."""
+    keys, distinct, total = added(pdf)
+    own = {"chunk": [-1], "totals": [b""], "kind": [int(pdf["kind"].iloc[0])], "bucket": [int(pdf["bucket"].iloc[0])], "words": [int((total > 0).sum())], "tokens": [int(total.sum())]}
+    return pd.concat([answers(pdf, keys, distinct, total), pd.DataFrame(own)])
+
+
+def totals(rows: DataFrame, n_chunks: int, levels: int, of: int) -> DataFrame:
+    """REPLY to rows (kind, chunk, bucket, keys, counts) with `of` buckets, which the levels below deal out further."""
+    if levels <= 1:
+        return staged(rows.groupBy("kind", "bucket").applyInPandas(summed, REPLY), "lm-replies")
+    fan, n_above = FAN, max(1, n_chunks // FAN)
+    above = F.pmod(F.xxhash64("chunk"), F.lit(n_above)).alias("above")
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, distinct, total = added(pdf)
+        out = pd.DataFrame(list(dealt(distinct, total, fan, int(pdf["bucket"].iloc[0]), of)), columns=["bucket", "keys", "counts"])
+        return out.assign(kind=int(pdf["kind"].iloc[0]), chunk=int(pdf["above"].iloc[0]))
+
+    def spread(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        keys, distinct, _ = added(pdf)
+        return answers(pdf, keys, distinct, np.concatenate([expanded(x, "<i8") for x in replies.sort_values("bucket")["totals"]]))
+
+    rows = rows.select("*", above)
+    up = staged(rows.groupBy("kind", "bucket", "above").applyInPandas(merged, "kind int, chunk long, bucket long, keys binary, counts binary"), "lm-up")
+    below = totals(up, n_above, levels - 1, of * fan)
+    mine = below.where("chunk >= 0").select("kind", F.floor(F.col("bucket") / fan).alias("own"), F.col("chunk").alias("above"), "bucket", "totals")
+    down = rows.groupBy("kind", "bucket", "above").cogroup(mine.groupBy("kind", "own", "above")).applyInPandas(spread, REPLY)
+    return staged(down.unionByName(below.where("chunk = -1")), "lm-replies")
 
 
 class Resolved:
@@ -176,6 +230,16 @@ class Resolved:
         return out
 
 
+    def slices(self) -> Iterator[tuple[slice, slice]]:
+        """(documents, their tokens) of about SLICE tokens each, which bounds what is computed at a time."""
+        ends = np.cumsum(self.lengths)
+        at = begin = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, begin + SLICE, side="right")))
+            yield slice(at, to), slice(begin, int(ends[to - 1]))
+            at, begin = to, int(ends[to - 1])
+
+
 def frequency(context: np.ndarray) -> np.ndarray:
     """The bucket of a context's count: 0 for 0, else one more than the whole part of its binary logarithm."""
     return np.frexp(context.astype(np.float64))[1]
@@ -188,13 +252,16 @@ def bins(p: np.ndarray) -> np.ndarray:
 
 def evidence(chunk: Resolved, n: int) -> pd.DataFrame:
     """(bucket, bigram bin, unigram bin) of the training tokens of a chunk, each deleted from the counts: number and sums."""
-    t = chunk.trains
-    context, pair, word = chunk.context[t] - 1, chunk.pair[t] - 1, chunk.word[t] - 1
-    p2, p1 = pair / np.maximum(context, 1), word / max(n - 1, 1)
-    code = (frequency(context) * BINS + bins(p2)) * BINS + bins(p1)
-    cells, place, count = np.unique(code, return_inverse=True, return_counts=True)
-    sums = [np.bincount(place, weights=p, minlength=len(cells)) for p in (p2, p1)]
-    return pd.DataFrame({"bucket": cells // BINS**2, "cell": cells, "n": count, "p2": sums[0], "p1": sums[1]})
+    out = []
+    for _, at in chunk.slices():
+        t = chunk.trains[at]
+        context, pair, word = chunk.context[at][t] - 1, chunk.pair[at][t] - 1, chunk.word[at][t] - 1
+        p2, p1 = pair / np.maximum(context, 1), word / max(n - 1, 1)
+        code = (frequency(context) * BINS + bins(p2)) * BINS + bins(p1)
+        cells, place, count = np.unique(code, return_inverse=True, return_counts=True)
+        sums = [np.bincount(place, weights=p, minlength=len(cells)) for p in (p2, p1)]
+        out.append(pd.DataFrame({"bucket": cells // BINS**2, "cell": cells, "n": count, "p2": sums[0], "p1": sums[1]}))
+    return pd.concat(out).groupby(["bucket", "cell"], as_index=False).sum()
 
 
 def weights(cells: pd.DataFrame, words: int) -> np.ndarray:
@@ -217,26 +284,36 @@ def weights(cells: pd.DataFrame, words: int) -> np.ndarray:
 
 
 def scores(chunk: Resolved, n: int, words: int, mix: np.ndarray) -> pd.DataFrame:
-    starts = np.cumsum(chunk.lengths) - chunk.lengths
-    add = lambda x: np.add.reduceat(x, starts)
-    w = mix[frequency(chunk.context)]
-    p = w[:, 0] * chunk.pair / np.maximum(chunk.context, 1) + w[:, 1] * chunk.word / max(n, 1) + w[:, 2] / (words + 1)
-    base = np.log10((chunk.word + 1) / (n + words + 1))
-    docs = pd.Series(chunk.docs, dtype="Int64")
-    held = [is_held_out(None if pd.isna(d) else int(d)) for d in chunk.docs]
-    return pd.DataFrame({"doc_id": docs, "held_out": held, "n_tokens": chunk.lengths, "n_known": add((chunk.word > 0).astype(np.int64)), "train_tokens": n, "base_score": add(base), "score": add(np.log10(p))})
+    def logs(context: np.ndarray, pair: np.ndarray, word: np.ndarray, total: np.ndarray | int) -> np.ndarray:
+        w = mix[frequency(context)]
+        return np.log10(w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / np.maximum(total, 1) + w[:, 2] / (words + 1))
+
+    out = []
+    for docs, at in chunk.slices():
+        starts = np.cumsum(chunk.lengths[docs]) - chunk.lengths[docs]
+        context, pair, word, t = chunk.context[at], chunk.pair[at], chunk.word[at], chunk.trains[at].astype(np.int64)
+        values = {
+            "n_known": (word > 0).astype(np.int64),
+            "base_score": np.log10((word + 1) / (n + words + 1)),
+            "score": logs(context, pair, word, n),
+            "deleted_score": logs(context - t, pair - t, word - t, n - t),  # without the token's own occurrence, where it is one of training
+        }
+        own = pd.DataFrame({"doc_id": pd.Series(chunk.docs[docs], dtype="Int64"), "n_tokens": chunk.lengths[docs], "train_tokens": n} | {k: np.add.reduceat(x, starts) for k, x in values.items()})
+        out.append(own.assign(held_out=[is_held_out(None if pd.isna(d) else int(d)) for d in chunk.docs[docs]]))
+    return pd.concat(out)[["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "deleted_score"]]
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, deleted_score) of each document."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     path = f"{shared_dir(spark)}/kelpline-lm-{uuid.uuid4().hex}"
-    found = chunks(docs, 1 + size // BUCKET_BYTES)
+    levels = max(1, math.ceil(math.log(1 + size // BUCKET_BYTES, FAN)))
+    found = chunks(docs, FAN)
     found.write.partitionBy("kind").option("compression", "uncompressed").parquet(path)
     found = spark.read.schema(found.schema).parquet(path)
     keys = found.where(F.col("kind") != STREAM).select("kind", "chunk", "bucket", "keys", "counts")
-    replies = staged(keys.groupBy("kind", "bucket").applyInPandas(summed, "chunk long, totals binary, kind int, bucket long, words long, tokens long"), "lm-replies")
+    replies = totals(keys, found.where(F.col("kind") == STREAM).count(), levels, FAN)
     for kind in (WORDS, PAIRS):  # summed up and answered: not read again
         removed(spark, f"{path}/kind={kind}")
     own = replies.where(F.col("chunk") == -1).where(F.col("kind") == WORDS).agg(F.sum("words"), F.sum("tokens")).first()
@@ -252,7 +329,7 @@ def scored(docs: DataFrame) -> DataFrame:
     def score(stream: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         return scores(Resolved(stream, answers), n, words, mix)
 
-    return both.applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return both.applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, deleted_score double")
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
