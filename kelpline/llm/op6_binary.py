@@ -5,10 +5,11 @@ A dataset holds two Parquet tables (any file system that Spark writes to will do
   unless it is the last of its part. Its ids are cut into blocks of BLOCK ids; a block is transposed into 4 byte planes (or 32 bit
   planes), each plane is compressed with zstandard, and `planes` has the compressed sizes.
 * index: (part, chunk, first_doc, last_doc, n_docs, start, n_ids), start: ids of all chunks before.
-Parts are ranges of ascending doc_id, so (part, chunk) is the order of documents.
+Parts are ranges of ascending (doc_id, hash of the text), so (part, chunk) is the order of documents.
 
 Defined results: null is an empty text, whose only id is the end; a null doc_id comes first; repeated rows are kept,
-each in its own place; an empty table makes an empty dataset; extra columns don't matter.
+each in its own place, by a hash of the text among rows of one id, so that reruns agree; an empty table makes an empty
+dataset; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, bits: bool
         if ids:
             yield closed()
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     rows.mapInArrow(run, "part int, chunk long, docs array<long>, lengths array<long>, block_ids array<int>, planes array<int>, payload binary").write.option("compression", "uncompressed").parquet(f"{path}/chunks")
     chunks = docs.sparkSession.read.parquet(f"{path}/chunks")
     total = lambda c: F.aggregate(F.col(c), F.lit(0).cast("long"), lambda a, x: a + x)
