@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import WORD, staged, table
+from kelpline.llm.common import WORD, sent, staged, table
 
 BUCKET, FAN_IN, MOST, CYCLE = 256, 64, 3, 3
 #: Sources are dealt out to documents by a broadcast join up to this many (checked), by a shuffled join beyond.
@@ -143,6 +143,7 @@ def take(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; all columns and their order stay."""
     names = docs.columns
     units = staged(sized(docs), "mix-units")
-    found = copies(units, staged(targets(units), "mix-sources")).select("mark", "copies").where("copies > 0")
-    rows = docs.select(F.struct(*names).alias("doc"), F.xxhash64("doc_id", "text", "source").alias("mark")).join(found, "mark")
+    found = sent(staged(copies(units, staged(targets(units), "mix-sources")).select("key", "mark", "copies").where("copies > 0"), "mix-copies"))
+    rows = docs.select(F.struct(*names).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text", "source").alias("own"))
+    rows = rows.join(found, (F.col("own") == F.col("mark")) & F.col("id").eqNullSafe(F.col("key")))
     return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
