@@ -11,13 +11,15 @@ found a task passes on only each vector's number of links and a spanning forest.
 count.
 
 Defined results: a null label and a vector that is null, empty, zero or holds a null or non-finite component link with
-nothing; repeated rows count as other vectors; an empty table gives an empty result; extra columns don't matter.
+nothing; repeated rows count as other vectors, and so do several vectors of one id; a component is named by its smallest
+id, which is null if all of its ids are; an empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -57,31 +59,39 @@ def normalised(values: list[float | None] | None) -> np.ndarray | None:
     return x / np.sqrt((x * x).sum())
 
 
-def hashed(units: np.ndarray, k: int, tables: int) -> np.ndarray:
-    """64-bit bucket of each vector (row) in each table (column)."""
-    rng = np.random.default_rng([SEED, units.shape[1], k, tables])
-    a, b = rng.standard_normal((units.shape[1], k * tables)), rng.uniform(0, WIDTH, k * tables)
-    cells = np.floor((units @ a + b) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(units), tables, k)
-    out = np.repeat(np.arange(tables, dtype=np.uint64)[None, :], len(units), axis=0)
+@lru_cache(4)
+def projections(dim: int, k: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([SEED, dim, k, tables])
+    return rng.standard_normal((dim, k * tables)), rng.uniform(0, WIDTH, k * tables)
+
+
+def hashed(units: np.ndarray, k: int, tables: int, first: int | None = None) -> np.ndarray:
+    """64-bit bucket of each vector (row) in each of the first tables (column)."""
+    first = tables if first is None else first
+    a, b = (x[..., : k * first] for x in projections(units.shape[1], k, tables))
+    cells = np.floor((units @ a + b) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(units), first, k)
+    out = np.repeat(np.arange(first, dtype=np.uint64)[None, :], len(units), axis=0)
     for i in range(k):
         out = mix64(out ^ cells[:, :, i])
     return out
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
-    """(key, label, dim, unit, digest) of each vector; the last three are null where it can't link."""
+    """(row, key, label, dim, unit, digest) of each vector; the last three are null where it can't link. row is a number of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in pieces(batches):
-            units = [normalised(v) if g is not None else None for v, g in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            labels = batch.column(2).to_pylist()
+            units = [normalised(v) if g is not None else None for v, g in zip(batch.column(3).to_pylist(), labels, strict=True)]
             blobs = [None if u is None else u.tobytes() for u in units]
             dims = pa.array([None if u is None else len(u) for u in units], pa.int32())
-            digests = pa.array([None if x is None else xxhash.xxh3_128_digest(f"{g}:".encode() + x) for g, x in zip(batch.column(1).to_pylist(), blobs, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), dims, pa.array(blobs, pa.binary()), digests], names=["key", "label", "dim", "unit", "digest"])
+            digests = pa.array([None if x is None else xxhash.xxh3_128_digest(f"{g}:".encode() + x) for g, x in zip(labels, blobs, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), dims, pa.array(blobs, pa.binary()), digests], names=["row", "key", "label", "dim", "unit", "digest"])
 
-    return vectors.select(F.col("vec_id").cast("long").alias("key"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>")).mapInArrow(run, "key long, label long, dim int, unit binary, digest binary")
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("key"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>"))
+    return rows.mapInArrow(run, "row long, key long, label long, dim int, unit binary, digest binary")
 
 
 def bucketed(classes: DataFrame, k: int, tables: int) -> DataFrame:
@@ -100,7 +110,7 @@ def bucketed(classes: DataFrame, k: int, tables: int) -> DataFrame:
     return classes.select("label", "dim", "unit", "class", "copies").mapInArrow(run, "label long, dim int, unit binary, class long, copies long, buckets binary")
 
 
-def linked_pairs(classes: DataFrame, tables: int, cosine: float, name: str) -> DataFrame:
+def linked_pairs(classes: DataFrame, k: int, tables: int, cosine: float, name: str) -> DataFrame:
     """(a, b, n): with b null, the class a links with n vectors of other classes found by a task; else a and b link."""
     places = classes.select("class", "label", "dim", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.substring("buckets", t * 8 + 1, F.lit(8)))).alias("t", "bucket"))
     sizes = places.groupBy("label", "dim", "t", "bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -111,28 +121,27 @@ def linked_pairs(classes: DataFrame, tables: int, cosine: float, name: str) -> D
     rows = places.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class", "t"), blocks).cast("int"))
     partners = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
     rows = rows.withColumn("p", F.explode(partners)).select(F.pmod(F.xxhash64("cell", "p"), F.lit(groups)).alias("group"), "cell", "t", "p.i", "p.j", "own", "class")
-    rows = rows.join(classes.select("class", "unit", "copies", "buckets"), "class")
+    rows = rows.join(classes.select("class", "unit", "copies"), "class")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cell, ti, i_, j_, own, class_, copies = (pdf[c].to_numpy() for c in ("cell", "t", "i", "j", "own", "class", "copies"))
-        units, hashes, out = pdf["unit"].to_numpy(), pdf["buckets"].to_numpy(), []
-        wide = lambda x, kind: np.frombuffer(b"".join(x), kind).reshape(len(x), -1)
+        units, out = pdf["unit"].to_numpy(), []
+        wide = lambda x: np.frombuffer(b"".join(x), np.float64).reshape(len(x), -1)
         for at in cells([j_, i_, cell], class_):
             t, i, j = (int(c[at[0]]) for c in (ti, i_, j_))
             left, right = at[own[at] == i], at[own[at] == j]
             if not len(left) or not len(right):
                 continue
-            hit = wide(units[left], np.float64) @ wide(units[right], np.float64).T >= cosine
+            u, v = wide(units[left]), wide(units[right])
+            hit = u @ v.T >= cosine
             if i == j:
                 hit = np.triu(hit, 1)
             x, y = np.nonzero(hit)
             if not len(x):
                 continue
             if t:  # an earlier table counts those that share its bucket
-                p, q = wide(hashes[left], np.uint64), wide(hashes[right], np.uint64)
-                new = np.ones(len(x), dtype=bool)
-                for e in range(t):
-                    new &= p[x, e] != q[y, e]
+                (p, x_of), (q, y_of) = (np.unique(z, return_inverse=True) for z in (x, y))
+                new = (hashed(u[p], k, tables, t)[x_of] != hashed(v[q], k, tables, t)[y_of]).all(axis=1)
                 x, y = x[new], y[new]
             a, b = class_[left], class_[right]
             to_a, to_b = np.bincount(x, weights=copies[right][y], minlength=len(a)).astype(np.int64), np.bincount(y, weights=copies[left][x], minlength=len(b)).astype(np.int64)
@@ -151,17 +160,19 @@ def linked(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -
     """(key, n_links, component_id) of each vector of (vec_id, embedding, label)."""
     name = "embeddings"
     rows = staged(prepared(vectors), f"{name}-units")
-    classes = rows.where("digest is not null and key is not null").groupBy("digest").agg(F.min("key").alias("class"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit"))
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("row").alias("class"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit"))
     classes = staged(classes, f"{name}-classes")
     most = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     k, tables = plan(most, cosine, recall)
-    pairs = linked_pairs(staged(bucketed(classes, k, tables), f"{name}-buckets"), tables, cosine, name)
+    pairs = linked_pairs(staged(bucketed(classes, k, tables), f"{name}-buckets"), k, tables, cosine, name)
     links = pairs.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("links"))
     found = components(pairs.where("b is not null").select("a", "b").distinct(), name).withColumnRenamed("v", "class")
     of = classes.select("digest", "class", "copies").join(links, "class", "left").join(found, "class", "left")
     of = of.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class").alias("component"))
-    some = rows.where("digest is not null and key is not null").join(of, "digest").select("key", "n_links", F.col("component").alias("component_id"))
-    return some.unionByName(rows.where("digest is null or key is null").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id")))
+    some = staged(rows.where("digest is not null").select("key", "digest").join(of, "digest").select("key", "n_links", "component"), f"{name}-found")
+    names = some.groupBy("component").agg(F.min("key").alias("component_id"))
+    some = some.join(names, "component").select("key", "n_links", "component_id")
+    return some.unionByName(rows.where("digest is null").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id")))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
