@@ -29,3 +29,27 @@ def test_stages(spark, sf):
     assert {r["doc_id"] for r in seen["packing"]} == {r["doc_id"] for r in seen["mixing"]}
     tokens = sum(r["length"] for r in seen["packing"])  # the pieces themselves depend on how the input is cut into partitions
     assert sum(r["length"] for r in corpus_pipeline.run(spark, sf).collect()) == tokens
+
+
+def test_stages_odd(spark, sf, odd, none, clash):
+    """Nulls, blank and very long texts, ties, repeated rows, clashing names, and an empty table, stage by stage."""
+    for docs in (odd, clash):
+        rows = docs
+        for name, stage in corpus_pipeline.STAGES:
+            before, out = rows, stage(spark, rows, sf)
+            if name == "packing":
+                assert out.agg({"length": "sum"}).first()[0] >= before.count()
+                continue
+            assert out.columns == docs.columns
+            rows = spark.createDataFrame(out.collect(), out.schema)
+            if name == "quality rules":
+                assert rows.where("text is null").count() == 0
+            if name == "near-dedup":
+                assert rows.where("doc_id = 14").count() <= 1 and rows.count() == rows.dropDuplicates(["doc_id", "text"]).count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0
+
+
+def test_run_empty(spark, none, tmp_path):
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
